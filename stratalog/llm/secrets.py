@@ -1,0 +1,171 @@
+"""Secret scans over an incremental blob ledger, in DataFrame functions only.
+
+Every historical version of a text is addressed by its content (SHA-256). The ledger, two Parquet tables in shared
+storage, remembers which (blob, rule version) pairs were scanned and what was found; a scan reads only texts of pairs
+not seen before, each blob once however many paths hold it, and findings are joined back to all paths.
+
+Rules find leftmost non-overlapping matches per kind, then drop those that fail the rule's check. Offsets count code
+points, the end is exclusive.
+
+Defined results: null text counts as empty; an empty text has no findings; rows with equal or null paths each get
+their own result row; an empty table gives an empty result; other columns of the input are ignored or, in
+``redact``, kept, whatever their names (the join columns carry reserved names).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import documents, new_folder
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``pattern`` is a Java regular expression; a match counts if its ``group`` has at least ``least`` characters."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 1
+    version: str = "1"
+
+    @property
+    def key(self) -> str:
+        return f"{self.kind}@{self.version}"
+
+
+BASE = (
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    # Over maximal runs these two equal "any run, then drop the short ones".
+    Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20),
+    Rule("hex", "[0-9a-f]{24,}", 0, 24),
+)
+MORE = (
+    Rule("pem", r"-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----"),
+    Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+)
+RULES = BASE + MORE
+#: A text that doesn't match this has no finding of any rule above.
+GATE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN\x20|\bgh[pousr]_|\beyJ"""
+
+_FOUND = "blob binary, rule string, kind string, start int, end int"
+_SEEN = "blob binary, rules array<string>"
+
+
+def spans_of(rule: Rule, text: Column) -> Column:
+    """array<struct<start, end>> of one rule's findings: lengths of the pieces between matches give the places."""
+    pattern = F.lit(rule.pattern)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
+    parts = F.zip_with(
+        F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x)),
+        F.arrays_zip(found.alias("m"), checked.alias("g")),
+        lambda gap, x: F.struct(gap.alias("gap"), F.length(x["m"]).alias("len"), (F.length(x["g"]) >= rule.least).alias("ok")),
+    )
+    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>))")
+    walked = F.aggregate(
+        parts,
+        empty,
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["len"]).alias("at"),
+            F.when(x["ok"], F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).otherwise(acc["out"]).alias("out"),
+        ),
+    )
+    return walked["out"]
+
+
+class BlobLedger:
+    """Scanned pairs and findings under ``root``. Each scan appends one folder to ``found`` and then one to ``seen``:
+    a job that dies between the two scans those blobs again, and the repeated findings are equal rows."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, (root or new_folder(spark, "ledger")).rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return None
+
+    def seen(self) -> DataFrame | None:
+        return self._table("seen", _SEEN)
+
+    def found(self, rules=RULES) -> DataFrame:
+        t = self._table("found", _FOUND)
+        t = self.spark.createDataFrame([], _FOUND) if t is None else t
+        return t.where(F.col("rule").isin([r.key for r in rules])).distinct()
+
+    def scan(self, history: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+        """Scan what ``history`` (one row per path and version) brings; returns history's findings by blob."""
+        keys = F.array(*[F.lit(r.key) for r in rules])
+        blobs = history.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where("text <> ''").select(blob_of("text").alias("blob"), "text")
+        known = self.seen()
+        if known is not None:
+            done = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("done"))
+            todo = blobs.groupBy("blob").agg(F.lit(1).alias("one")).join(done, "blob", "left").select("blob", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+            # the texts of blobs that are fully scanned stop here
+            fresh = blobs.join(todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
+        else:
+            fresh = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("rules", keys)
+        each = F.array_compact(F.array(*[F.when(F.array_contains("rules", r.key), F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), spans_of(r, F.col("text")).alias("spans"))) for r in rules]))
+        run = new_folder(self.spark, "x").rpartition("-")[2]
+        # one pass over the fresh texts writes both facts: that they were scanned, and what was found
+        scanned = fresh.select("blob", "rules", F.when(F.col("text").rlike(GATE) if rules == RULES else F.lit(True), F.filter(each, lambda x: F.size(x["spans"]) > 0)).alias("hits"))
+        scanned.write.parquet(f"{self.root}/scan/run={run}")
+        back = self.spark.read.parquet(f"{self.root}/scan/run={run}")
+        back.where(F.size("hits") > 0).select("blob", F.explode("hits").alias("h")).select("blob", "h.rule", "h.kind", F.explode("h.spans").alias("s")).select("blob", "rule", "kind", "s.start", "s.end").write.mode("append").parquet(f"{self.root}/found")
+        back.select("blob", "rules").write.mode("append").parquet(f"{self.root}/seen")
+        return self.found(rules)
+
+
+def blob_of(text) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def _joined(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def by_blob(found: DataFrame, rules=RULES) -> DataFrame:
+    """One row per blob with findings: spans as an array ordered by start, then kind as listed."""
+    rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
+    return found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("spans"))
+
+
+def findings_by_path(history: DataFrame, ledger: BlobLedger, path: str = "doc_id", text: str = "text", rules=RULES, salts: int = 16) -> DataFrame:
+    """Every row of ``history`` as (path, spans). Findings are few and are repeated ``salts`` times, so a blob that a
+    third of all paths hold is spread over that many tasks."""
+    found = by_blob(ledger.scan(history, text, rules), rules)
+    paths = history.select(F.col(path).alias("path"), blob_of(text).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return paths.join(spread, ["blob", "salt"], "left").select("path", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:bigint,end:int,kind:string>>")).alias("spans"))
+
+
+def redact(history: DataFrame, ledger: BlobLedger, text: str = "text", mark: str = "[SECRET]", rules=RULES, salts: int = 16) -> DataFrame:
+    """``history`` with each run of overlapping findings replaced by ``mark``; texts without findings are unchanged."""
+    found = by_blob(ledger.scan(history, text, rules), rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    marked = history.withColumns({"__blob": blob_of(text), "__salt": F.pmod(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in history.columns if c != text]) if len(history.columns) > 1 else F.lit(1)), F.lit(salts)).cast("int")})
+    joined = marked.join(found, ["__blob", "__salt"], "left")
+    pieces = F.aggregate(
+        F.col("__spans"),
+        F.expr("named_struct('at', 0, 'out', cast('' as string))"),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
+    )
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(pieces)).select(*[F.col(f"`{c}`") for c in history.columns])
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = findings_by_path(docs, BlobLedger(spark))
+    base = [r.kind for r in BASE]
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    kept = F.filter("spans", lambda s: s["kind"].isin(base))
+    return rows.select(F.col("path").alias("doc_id"), *[n(k).alias(f"n_{k}") for k in base], F.sha2(_joined(kept).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
