@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import minhash
+from .minhash import op2_minhash
 from .packing import op5_packing
-from .secrets import op8_secret_scans
+from .secret_scan import op8_secret_scans
 
-QUERIES = {f.__name__: f for f in (op5_packing, op8_secret_scans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op8_secret_scans)}
+ORACLES: dict[str, str] = {"op2_minhash": minhash.ORACLE}
