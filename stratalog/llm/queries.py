@@ -6,6 +6,7 @@ from . import minhash
 from .minhash import op2_minhash
 from .packing import op5_packing
 from .secret_scan import op8_secret_scans
+from .substrings import op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op8_secret_scans)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op8_secret_scans, op9_substring_dedup)}
 ORACLES: dict[str, str] = {"op2_minhash": minhash.ORACLE}
