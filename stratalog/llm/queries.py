@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from . import minhash, quality
+from .langid import op7_language_id
 from .minhash import op2_minhash
 from .packing import op5_packing
 from .quality import op6_quality_rules
 from .secret_scan import op8_secret_scans
 from .substrings import op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op6_quality_rules, op8_secret_scans, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_substring_dedup)}
 ORACLES: dict[str, str] = {"op2_minhash": minhash.ORACLE, "op6_quality_rules": quality.ORACLE}
