@@ -9,6 +9,7 @@ from .packing import op5_packing
 from .quality import op6_quality_rules
 from .secret_scan import op8_secret_scans
 from .substrings import op9_substring_dedup
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op5_packing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_substring_dedup, op4_toxicity)}
 ORACLES: dict[str, str] = {"op2_minhash": minhash.ORACLE, "op6_quality_rules": quality.ORACLE}
