@@ -2,12 +2,13 @@
 
 Tokens are runs of letters, lower-cased; a sequence is a line or sentence, cut at ``LONGEST`` tokens. States are
 ordinary and toxic; a token's features are itself, its prefixes, its suffix and its length, hashed. Labels mark whole
-documents, so tokens are labelled from them first: in a toxic document those with a feature that many toxic and hardly
-any clean documents have. The field is fitted by gradient ascent on the conditional likelihood with forward-backward
-marginals. Scoring runs forward-backward over every sequence of every text; a document's score is the chance that
-not all of its likelier tokens are ordinary, and runs of tokens above one half are its offending spans.
+documents, so tokens are labelled from them first: in a toxic document those with a feature that marks toxic
+documents beyond chance; copies of a document count once. The field is fitted by gradient ascent on the conditional likelihood with forward-backward
+marginals. Scoring runs forward-backward over every sequence of every text; a document's score is a
+logistic function of the log-odds of its likelier distinct tokens, and runs of tokens above one half are its offending
+spans.
 
-The fit reads a bounded sample: ``PER_CLASS`` toxic and twice as many clean labelled documents, those with the least
+The fit reads a bounded sample: ``PER_CLASS`` toxic and four times as many clean labelled documents, those with the least
 hash of their id.
 
 Defined results: null or letterless text scores 0; labels that are null are ignored, of several for one id the
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, documents, prepare
-from .textkit import buffers, slices
+from .textkit import buffers, slices, windows
 from .wordscan import LetterWords
 
-PER_CLASS, BUCKETS, LONGEST, THRESHOLD = 1200, 1 << 18, 64, 0.7
+PER_CLASS, BUCKETS, LONGEST, THRESHOLD = 800, 1 << 18, 64, 0.7
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
 N_FEATURES = len(PREFIXES) + 3
 
@@ -108,8 +109,8 @@ def forward_backward(u: np.ndarray, at: np.ndarray, trans: np.ndarray, gold: np.
 
 
 class Crf:
-    def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans = weights.astype(np.float32), trans
+    def __init__(self, weights: np.ndarray, trans: np.ndarray, doc_weights: np.ndarray):
+        self.weights, self.trans, self.doc_weights = weights.astype(np.float32), trans, doc_weights
 
     def marginals(self, w: LetterWords) -> np.ndarray:
         if not len(w.starts):
@@ -121,9 +122,9 @@ class Crf:
         return forward_backward(u.astype(np.float64), sequences(w), self.trans)[0]
 
 
-def token_labels(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Tokens of toxic documents with a feature that at least a few toxic documents have and that is fifty times as
-    frequent, by documents, as in clean ones."""
+def token_labels(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, evidence: float = 11.0) -> np.ndarray:
+    """Tokens of toxic documents with a feature that marks toxic documents: it is at least five times as frequent
+    there, by documents, and the log-likelihood ratio against chance is at least ``evidence``."""
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     pos, neg = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for i in range(N_FEATURES - 1):
@@ -131,31 +132,70 @@ def token_labels(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarra
         d, f = pairs // BUCKETS, pairs % BUCKETS
         pos += np.bincount(f[toxic[d]], minlength=BUCKETS)
         neg += np.bincount(f[~toxic[d]], minlength=BUCKETS)
-    strong = (pos >= max(3, 0.01 * n_pos)) & ((pos + 0.1) / n_pos > 50 * (neg + 0.1) / n_neg)
-    if not strong.any():
-        strong = (pos >= 2) & (neg == 0)
+    base, both = n_pos / (n_pos + n_neg), np.maximum(pos + neg, 1)
+    ratio = pos * np.log(np.maximum(pos / both, 1e-9) / base) + neg * np.log(np.maximum(neg / both, 1e-9) / (1 - base))
+    strong = (pos * n_neg >= 5 * neg * n_pos) & (ratio >= evidence)
     strong[0] = False
     return (strong[x[:, : N_FEATURES - 1]].any(1) & toxic[doc]).astype(np.int64)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 60, rate: float = 0.5, l2: float = 1e-4) -> Crf | None:
-    xs, ats, docs = [], [], []
-    n = d0 = 0
-    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
-        w = LetterWords(*buffers(part.column(0)))
-        xs.append(features(w))
-        ats.append(sequences(w)[:-1] + n)
-        docs.append(np.repeat(np.arange(part.num_rows), w.counts()) + d0)
-        n += len(w.starts)
-        d0 += part.num_rows
-    if not n or not toxic.any():
-        return None
-    x, doc, at = np.concatenate(xs), np.concatenate(docs), np.append(np.concatenate(ats), n)
+def originals(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Documents that share none of three MinHash values of their word pairs with an earlier one: copies of one
+    document aren't separate evidence."""
+    x, at = windows(h, first, 2)
+    bounds = np.append(0, np.cumsum(np.maximum(np.diff(first) - 1, 0)))
+    keep, seen = np.ones(len(first) - 1, bool), set()
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        with np.errstate(over="ignore"):
+            low = np.stack([np.minimum.reduceat(x * np.uint64(k), bounds[full]) for k in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], 1)
+        for d, own in zip(full.tolist(), low.tolist()):
+            own = set(enumerate(own))
+            keep[d] = not own & seen
+            seen |= own
+    return keep
+
+
+def evidence(doc: np.ndarray, word: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """(documents, 2): the log-odds of a document's likelier tokens, each distinct word once, summed; and the greatest
+    log-odds of any token (of none: -12)."""
+    odds = np.log(np.clip(p, 1e-6, 1 - 1e-4) / (1 - np.clip(p, 1e-6, 1 - 1e-4)))
+    top = np.full(n, -12.0)
+    np.maximum.at(top, doc, odds)
+    some = np.flatnonzero(odds > -2)
+    order = some[np.lexsort((-odds[some], word[some], doc[some]))]
+    first = np.ones(len(order), bool)
+    first[1:] = (doc[order][1:] != doc[order][:-1]) | (word[order][1:] != word[order][:-1])
+    order = order[first]
+    return np.stack([np.bincount(doc[order], odds[order] + 2, n), top], 1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method; the slopes can't be negative."""
+    z = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
+    free = np.ones(len(w), bool)
+    for _ in range(3):
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            grad = z.T @ (y - q) - ridge * w * np.append(np.ones(len(w) - 1), 0)
+            hess = (z * (q * (1 - q))[:, None]).T @ z + np.diag(np.append(np.full(len(w) - 1, ridge), 1e-6))
+            w[free] += np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+        low = (w < 0) & np.append(np.ones(len(w) - 1, bool), False)
+        if not low.any():
+            break
+        free &= ~low
+        w[low] = 0
+    return w
+
+
+def fit_chain(x: np.ndarray, doc: np.ndarray, at: np.ndarray, toxic: np.ndarray, epochs: int = 40, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features and of the steps."""
     y = token_labels(x, doc, toxic)
-    # every sequence with a toxic token, and as many, spread evenly, of clean documents (at least 4000)
+    # every sequence with a toxic token, and those of clean documents, at least 20000 if there are
     has = np.add.reduceat(y, at[:-1]) > 0
     clean = np.flatnonzero(~toxic[doc[at[:-1]]])
-    take = clean[np.unique(np.linspace(0, len(clean) - 1, min(len(clean), max(4000, 2 * int(has.sum())))).astype(int))] if len(clean) else clean
+    take = clean[np.unique(np.linspace(0, len(clean) - 1, min(len(clean), max(20000, 4 * int(has.sum())))).astype(int))] if len(clean) else clean
     seqs = np.sort(np.append(np.flatnonzero(has), take))
     lens = np.diff(at)[seqs]
     new_at = np.append(0, np.cumsum(lens))
@@ -163,25 +203,63 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 60, rate: float = 0.5,
     x, y = x[rows], y[rows]
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     g2, t2 = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
-    flat = x.reshape(-1)
     for _ in range(epochs):
-        u = weights[x].sum(1)
+        u = np.zeros(len(x))
+        for i in range(N_FEATURES):
+            u += weights[x[:, i]]
         p, (expected, seen) = forward_backward(u, new_at, trans, y)
-        grad = np.bincount(flat, np.repeat(y - p, N_FEATURES), BUCKETS) - l2 * len(y) * weights * (weights != 0) / 100
+        grad = -l2 * len(y) * weights / 100
+        for i in range(N_FEATURES):
+            grad += np.bincount(x[:, i], y - p, BUCKETS)
         grad[0] = 0
         g2 += grad**2
         weights += rate * grad / np.sqrt(g2)
         step = (seen - expected) - 0.1 * trans
         t2 += step**2
         trans += rate * step / np.sqrt(t2)
-    return Crf(weights, trans)
+    return weights, trans
+
+
+def fit(texts: pa.Array, toxic: np.ndarray) -> Crf | None:
+    """The field, fitted on all documents, and the weights of a document's evidence, fitted on marginals that each
+    half of the documents got from a field fitted on the other."""
+    whole = LetterWords(*buffers(texts))
+    keep = originals(whole.span(whole.starts, whole.ends), whole.first)
+    del whole
+    texts, toxic = texts.filter(pa.array(keep)), toxic[keep]
+    xs, ats, docs, words = [], [], [], []
+    n = d0 = 0
+    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        w = LetterWords(*buffers(part.column(0)))
+        xs.append(features(w))
+        ats.append(sequences(w)[:-1] + n)
+        docs.append(np.repeat(np.arange(part.num_rows), w.counts()) + d0)
+        words.append(w.span(w.starts, w.ends))
+        n += len(w.starts)
+        d0 += part.num_rows
+    if not n or not toxic.any():
+        return None
+    x, doc, at, word = np.concatenate(xs), np.concatenate(docs), np.append(np.concatenate(ats), n), np.concatenate(words)
+    del xs
+    seen = np.zeros((len(toxic), 2))
+    for half in (0, 1):
+        own = (doc % 2) != half
+        seqs = np.flatnonzero(own[at[:-1]])
+        lens = np.diff(at)[seqs]
+        weights, trans = fit_chain(x[own], doc[own], np.append(0, np.cumsum(lens)), toxic, epochs=25)
+        rest = ~own
+        lens = np.diff(at)[~own[at[:-1]]]
+        u = sum(weights[x[rest][:, i]] for i in range(N_FEATURES))
+        p, _ = forward_backward(u, np.append(0, np.cumsum(lens)), trans)
+        seen[half::2] = evidence(doc[rest], word[rest], p, len(toxic))[half::2]
+    return Crf(*fit_chain(x, doc, at, toxic), logistic(seen, toxic.astype(float)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf | None:
     """``labels``: doc_id, toxic of the rows that may be learnt from."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = [known.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(n) for k, n in ((1, per_class), (0, 2 * per_class))]
-    ids = F.broadcast(pick[0].unionByName(pick[1]))  # at most 3 * per_class ids
+    pick = [known.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(n) for k, n in ((1, per_class), (0, 4 * per_class))]
+    ids = F.broadcast(pick[0].unionByName(pick[1]))  # at most 5 * per_class ids
     got = docs.select("doc_id", "text").join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).dropDuplicates().orderBy(F.xxhash64("text")).toArrow().combine_chunks()
     if not got.num_rows:
         return None
@@ -204,11 +282,8 @@ def tag(spark: SparkSession, docs: DataFrame, model: Crf | None, column: str = "
             n = part.num_rows
             p = m.marginals(w)
             doc = np.repeat(np.arange(n), w.counts())
-            likely = p >= 0.1
-            score = -np.expm1(np.bincount(doc[likely], np.log1p(-np.minimum(p[likely], 1 - 1e-12)), n))
-            weak = np.zeros(n)
-            np.maximum.at(weak, doc, p)
-            score = np.clip(np.maximum(score, weak), 0, 1)
+            seen = evidence(doc, w.span(w.starts, w.ends), p, n)
+            score = np.where(w.counts() > 0, 1 / (1 + np.exp(-np.clip(np.column_stack([seen, np.ones(n)]) @ m.doc_weights, -30, 30))), 0.0)
             spans = [[] for _ in range(n)]
             hit = np.flatnonzero(p >= 0.5)
             for i, d in zip(hit.tolist(), doc[hit].tolist()):
