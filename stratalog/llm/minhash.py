@@ -170,7 +170,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = stored(spark, keys.join(hubs, "key"), "buckets")
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(spark, confirmed(docs, nodes, stored(spark, near_signatures(stars, nodes, percent), "pairs"), size, percent), "links")
+    pairs = stored(spark, near_signatures(stars, nodes, percent), "pairs")
+    links = stored(spark, confirmed(docs, nodes, pairs, size, percent), "links")
     parts = components(spark, links)
     # what the stars leave open: larger buckets that hold several components
     place = parts.select("node", F.col("component_id").alias("part"))
@@ -190,6 +191,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (all its columns) without those that nearly repeat a document of a smaller id; of rows equal in id and
+    words one stays."""
+    found = stored(spark, near_duplicates(spark, docs.select("doc_id", "text"), size, percent), "groups")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n")).distinct()
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    left = docs.join(gone.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    if twice.isEmpty():
+        return left
+    repeated = docs.join(twice, F.col("doc_id") == F.col("__id"), "left_semi")
+    return docs.join(gone.select("__id").unionByName(twice).distinct(), F.col("doc_id") == F.col("__id"), "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, documents(spark, sf_dir).select("doc_id", "text"), size=2, percent=80)
 

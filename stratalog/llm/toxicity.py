@@ -266,11 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf
     return fit(got["text"].combine_chunks(), got["toxic"].to_numpy() == 1)
 
 
-def tag(spark: SparkSession, docs: DataFrame, model: Crf | None, column: str = "text") -> DataFrame:
-    """``docs`` (all its columns) with score and spans, array<struct<start, end, p>> in code points of the text."""
+def tag(spark: SparkSession, docs: DataFrame, model: Crf | None, column: str = "text", score: str = "score", spans: str = "spans") -> DataFrame:
+    """``docs`` (all its columns) with a score and spans, array<struct<start, end, p>> in code points of the text, under
+    names that ``docs`` must not have itself."""
     prepare(spark)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("spans", F.expr("cast(array() as array<struct<start:int,end:int,p:double>>)"))
+        return docs.withColumn(score, F.lit(0.0)).withColumn(spans, F.expr("cast(array() as array<struct<start:int,end:int,p:double>>)"))
     shared = spark.sparkContext.broadcast(model)  # BUCKETS weights
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     place = docs.columns.index(column)
@@ -283,20 +284,20 @@ def tag(spark: SparkSession, docs: DataFrame, model: Crf | None, column: str = "
             p = m.marginals(w)
             doc = np.repeat(np.arange(n), w.counts())
             seen = evidence(doc, w.span(w.starts, w.ends), p, n)
-            score = np.where(w.counts() > 0, 1 / (1 + np.exp(-np.clip(np.column_stack([seen, np.ones(n)]) @ m.doc_weights, -30, 30))), 0.0)
-            spans = [[] for _ in range(n)]
+            scores = np.where(w.counts() > 0, 1 / (1 + np.exp(-np.clip(np.column_stack([seen, np.ones(n)]) @ m.doc_weights, -30, 30))), 0.0)
+            found = [[] for _ in range(n)]
             hit = np.flatnonzero(p >= 0.5)
             for i, d in zip(hit.tolist(), doc[hit].tolist()):
-                own, head = spans[d], int(w.bounds[d])
+                own, head = found[d], int(w.bounds[d])
                 s, e = int(w.starts[i]) - head, int(w.ends[i]) - head
                 if own and own[-1]["last"] == i - 1:
                     own[-1] |= {"end": e, "p": max(own[-1]["p"], float(p[i])), "last": i}
                 else:
                     own.append({"start": s, "end": e, "p": float(p[i]), "last": i})
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array([[{k: x[k] for k in ("start", "end", "p")} for x in own] for own in spans], kind)], names=[*part.schema.names, "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array([[{k: x[k] for k in ("start", "end", "p")} for x in own] for own in found], kind)], names=[*part.schema.names, score, spans])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, spans array<struct<start:int,end:int,p:double>>")
+    return docs.mapInArrow(run, f"{fields}, `{score}` double, `{spans}` array<struct<start:int,end:int,p:double>>")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
