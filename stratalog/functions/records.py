@@ -31,12 +31,12 @@ def rest(record: Column) -> Column:
 
 def first_field(tail: Column) -> Column:
     size = F.substring_index(tail, ":", 1)
-    return F.substring(tail, F.length(size) + 2, size.cast("int"))
+    return F.substring(tail, F.length(size) + 2, size.try_cast("int"))
 
 
 def after_first(tail: Column) -> Column:
     size = F.substring_index(tail, ":", 1)
-    return F.substring(tail, F.length(size) + 2 + size.cast("int"), F.lit(2**31 - 1))
+    return F.substring(tail, F.length(size) + 2 + size.try_cast("int"), F.lit(2**31 - 1))
 
 
 def unpack_value(s: str) -> list[str] | None:

@@ -114,7 +114,7 @@ class Body:
             field_type = d.parts[i].type if d and i < len(d.parts) else None
             text = records.first_field(F.col(self.col(tail)))
             numeric = self.ctx.types.kind(field_type) == "number" if field_type else self.kind_of(a) == "number"
-            field = text.cast(scalars.number_type(self.ctx.bits)) if numeric else text
+            field = text.try_cast(scalars.number_type(self.ctx.bits)) if numeric else text
             if isinstance(a, A.Var) and a.name not in self.bound:
                 self.assign(a.name, field)
             elif isinstance(a, A.Record) and not self.ready(a):
@@ -151,6 +151,7 @@ class Body:
 
     def equation(self, c: A.Constraint) -> bool:
         if c.op == "=":
+            waiting = {b.var for b in self.todo_binds}
             for a, b in ((c.left, c.right), (c.right, c.left)):
                 while isinstance(a, A.Cast):
                     a = a.arg
@@ -160,7 +161,7 @@ class Body:
                     self.df = self.ctx.counter(self.frame().distinct(), self.col(a.name))
                     self.bound.add(a.name)
                     return True
-                if isinstance(a, A.Var) and a.name not in self.bound and not isinstance(b, A.Counter) and self.ready(b):
+                if isinstance(a, A.Var) and a.name not in self.bound | waiting and not isinstance(b, A.Counter) and self.ready(b):
                     self.assign(a.name, self.expr(b))
                     return True
                 if isinstance(a, A.Record) and not self.ready(a) and self.ready(b):
