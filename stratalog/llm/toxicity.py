@@ -27,7 +27,7 @@ from .common import crc32_of_id, documents, prepare
 from .textkit import buffers, slices, windows
 from .wordscan import LetterWords
 
-PER_CLASS, BUCKETS, LONGEST, THRESHOLD = 800, 1 << 18, 64, 0.7
+PER_CLASS, BUCKETS, LONGEST, THRESHOLD = 500, 1 << 18, 64, 0.7
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
 N_FEATURES = len(PREFIXES) + 3
 
@@ -139,12 +139,12 @@ def token_labels(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, evidence: fl
     return (strong[x[:, : N_FEATURES - 1]].any(1) & toxic[doc]).astype(np.int64)
 
 
-def originals(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Documents that share none of three MinHash values of their word pairs with an earlier one: copies of one
-    document aren't separate evidence."""
+def originals(h: np.ndarray, first: np.ndarray, seen: set) -> np.ndarray:
+    """Documents that share none of three MinHash values of their word pairs with an earlier one (``seen`` gets the
+    values): copies of one document aren't separate evidence."""
     x, at = windows(h, first, 2)
     bounds = np.append(0, np.cumsum(np.maximum(np.diff(first) - 1, 0)))
-    keep, seen = np.ones(len(first) - 1, bool), set()
+    keep = np.ones(len(first) - 1, bool)
     full = np.flatnonzero(np.diff(bounds) > 0)
     if len(full):
         with np.errstate(over="ignore"):
@@ -223,24 +223,30 @@ def fit_chain(x: np.ndarray, doc: np.ndarray, at: np.ndarray, toxic: np.ndarray,
 def fit(texts: pa.Array, toxic: np.ndarray) -> Crf | None:
     """The field, fitted on all documents, and the weights of a document's evidence, fitted on marginals that each
     half of the documents got from a field fitted on the other."""
-    whole = LetterWords(*buffers(texts))
-    keep = originals(whole.span(whole.starts, whole.ends), whole.first)
-    del whole
-    texts, toxic = texts.filter(pa.array(keep)), toxic[keep]
-    xs, ats, docs, words = [], [], [], []
+    xs, ats, docs, words, kept = [], [], [], [], []
     n = d0 = 0
-    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+    known: set = set()
+    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], most=1 << 20):
         w = LetterWords(*buffers(part.column(0)))
-        xs.append(features(w))
-        ats.append(sequences(w)[:-1] + n)
-        docs.append(np.repeat(np.arange(part.num_rows), w.counts()) + d0)
-        words.append(w.span(w.starts, w.ends))
-        n += len(w.starts)
-        d0 += part.num_rows
+        h = w.span(w.starts, w.ends)
+        keep = originals(h, w.first, known)
+        doc = np.repeat(np.arange(part.num_rows), w.counts())
+        at = sequences(w)
+        whole = keep[doc[at[:-1]]] if len(doc) else np.zeros(0, bool)
+        lens = np.diff(at)[whole]
+        own = keep[doc]
+        xs.append(features(w)[own])
+        ats.append(np.append(0, np.cumsum(lens))[:-1] + n)
+        docs.append((np.cumsum(keep) - 1)[doc[own]] + d0)
+        words.append(h[own])
+        kept.append(keep)
+        n += int(own.sum())
+        d0 += int(keep.sum())
+    toxic = toxic[np.concatenate(kept)] if kept else toxic
     if not n or not toxic.any():
         return None
     x, doc, at, word = np.concatenate(xs), np.concatenate(docs), np.append(np.concatenate(ats), n), np.concatenate(words)
-    del xs
+    del xs, docs, words
     seen = np.zeros((len(toxic), 2))
     for half in (0, 1):
         own = (doc % 2) != half
