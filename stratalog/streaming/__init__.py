@@ -1,0 +1,5 @@
+"""Programs over streams of facts."""
+
+from .monotone import MonotoneProgram
+
+__all__ = ["MonotoneProgram"]
