@@ -219,8 +219,35 @@ class Engine:
         self._ordinal_paths.append(self.store.write(numbered, "ordinals"))
         return self.store.read(self._ordinal_paths, schema)
 
-    def run(self, outputs: Iterable[str] | None = None) -> Engine:
-        """Evaluates what the outputs (by default all output and printsize relations, or all if there are none) need."""
+    def _lazy(self, clauses: list[A.Clause], edges: dict, wanted: set[str], lazy_outputs: bool) -> set[str]:
+        """Relations that stay plans: inputs without rules or facts, and relations read once, by no recursive stratum
+        (each round would compute them again). With ``lazy_outputs`` also outputs that nothing reads."""
+        reads: dict[str, int] = {}
+        for c in clauses:
+            for part in c.body + c.head.args:
+                for n in A.walk(part):
+                    if isinstance(n, A.Atom):
+                        reads[n.name] = reads.get(n.name, 0) + 1
+        recursive = {n for group in self.strata if len(group) > 1 or group[0] in edges[group[0]] for n in group}
+        by_recursive = set().union(*(edges[n] for n in recursive)) if recursive else set()
+        headed = {c.head.name for c in clauses}
+        out = set()
+        for n in edges:
+            if n in recursive or n in by_recursive or self.inserted.get(n):
+                continue
+            if n not in headed:
+                if n in self.inputs and n not in wanted:
+                    out.add(n)
+            elif n in wanted:
+                if lazy_outputs and not reads.get(n):
+                    out.add(n)
+            elif reads.get(n, 0) == 1:
+                out.add(n)
+        return out
+
+    def run(self, outputs: Iterable[str] | None = None, lazy_outputs: bool = False) -> Engine:
+        """Evaluates what the outputs (by default all output and printsize relations, or all if there are none) need.
+        ``lazy_outputs`` leaves outputs that need no recursion of their own as plans, evaluated by whoever reads them."""
         began = time.time()
         self.store = Store(self.spark, self.root)
         wanted = set(outputs or ()) or {r.name for r in self.program.relations if {"output", "printsize"} & r.qualifiers} or set(self.relations)
@@ -231,11 +258,13 @@ class Engine:
                 clauses = doubled(clauses, name, name not in given)
         live = needed(A.Program(clauses=clauses), wanted)
         self.tables = {n: Table(self.store, n, self.schema(n)) for n in self.relations}
-        ctx = Context(self.spark, self.relations, self.types, self.bits, self.names, self.ordinals, self.counter)
+        ctx = Context(self.spark, self.relations, self.types, self.bits, self.names, self.ordinals, self.counter, lambda n: self.tables[n].is_set)
         ev = Evaluator(ctx, self.store, self.tables, self.log, self.max_iterations)
         positive, negative = uses(clauses)
         edges = {n: (positive.get(n, set()) | negative.get(n, set())) & set(self.relations) for n in self.relations if n in live}
         self.strata = sccs(edges)
+        lazy = self._lazy(clauses, edges, wanted, lazy_outputs)
+        # a plan's own reads happen later, so what it reads isn't counted down
         remaining = {n: sum(n in edges[m] for m in edges) for n in edges}
         for group in self.strata:
             inside = set(group)
@@ -246,17 +275,17 @@ class Engine:
                 rec = [c for c in own if any(isinstance(b, A.Atom) and b.name in inside for b in c.body)]
                 base = [rule(c, self.names) for c in own if c not in rec]
                 later[name] = [rule(c, self.names) for c in rec]
-                ev.base(name, base, self._given(name, clauses))
+                ev.base(name, base, self._given(name, clauses), name in lazy)
             if recursive:
                 ev.recursive(group, later)
             for m in group:  # what nothing will read again goes
-                for n in edges[m]:
+                for n in edges[m] if m not in lazy else ():
                     remaining[n] -= 1
                     if not remaining[n] and n not in wanted and n not in inside:
                         for p in self.tables[n].paths:
                             self.store.delete(p)
                         self.tables[n].paths, self.tables[n].counts = [], []
-        self.log.append({"kind": "runtime", "relation": "", "seconds": time.time() - began, "rows": sum(t.rows for t in self.tables.values())})
+        self.log.append({"kind": "runtime", "relation": "", "seconds": time.time() - began, "rows": sum(sum(t.counts) for t in self.tables.values())})
         return self
 
     # --- reading
@@ -264,12 +293,13 @@ class Engine:
         """The relation's tuples under its attributes' names."""
         if self.tables is None:
             raise RuntimeError("run() comes first")
-        return self.tables[name].df().toDF(*[a.name for a in self.relations[name].attributes])
+        t = self.tables[name]
+        return (t.df() if t.is_set else t.df().distinct()).toDF(*[a.name for a in self.relations[name].attributes])
 
     __getitem__ = df
 
     def size(self, name: str) -> int:
-        return self.tables[name].rows
+        return self.tables[name].rows if self.tables[name].view is None else self.df(name).count()
 
     def relation(self, name: str) -> RelationHandle:
         return RelationHandle(self, self.relations[name])
@@ -344,4 +374,4 @@ def evaluate(spark: SparkSession, text: str, inputs: dict[str, DataFrame], outpu
     engine = Engine.from_source(text, spark, **options)
     for name, df in inputs.items():
         engine.set_input(name, df)
-    return engine.run([output]).df(output)
+    return engine.run([output], lazy_outputs=True).df(output)

@@ -65,14 +65,21 @@ class Evaluator:
     def union(self, frames: list[DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b), frames)
 
-    def base(self, name: str, rules: list, facts: DataFrame | None) -> None:
-        """A relation from inputs, facts and rules that need nothing of its own stratum."""
+    def base(self, name: str, rules: list, facts: DataFrame | None, lazy: bool = False) -> None:
+        """A relation from inputs, facts and rules that need nothing of its own stratum. ``lazy``: it stays a plan that
+        Catalyst optimises together with what reads it, down to the columns and filters of a scan."""
         began = time.time()
+        if lazy and not rules and facts is not None:
+            self.tables[name].lazily(facts, False)
+            return
         frames = [compile_rule(self.ctx, r, lambda i, a: self.df(a.name), lambda i, a: self.tables[a.name].rows) for r in rules]
         if facts is not None:
             frames.append(facts)
         if not frames:
             return
+        if lazy:
+            self.tables[name].lazily(self.union(frames).distinct(), True)
+            return
         rows = sum(self.tables[a.name].rows for r in rules for a in r.atoms)
         with settings(self.spark, sized(self.spark, rows) if rules else {}):
             path, n = self.save(self.union(frames).distinct(), name)
@@ -134,7 +141,8 @@ class Evaluator:
             return t.df()
 
         def sizes(i: int, atom: A.Atom) -> float:
-            return self.tables[atom.name].counts[-1] if i == j else self.tables[atom.name].rows
+            t = self.tables[atom.name]
+            return t.counts[-1] if i == j else t.rows
 
         return compile_rule(self.ctx, r, source, sizes, version, first=j)
 

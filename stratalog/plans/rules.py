@@ -26,9 +26,9 @@ _COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "
 class Context:
     """What compiling needs besides the rule."""
 
-    def __init__(self, spark: SparkSession, relations: dict[str, A.Relation], types: TypeEnvironment, bits: int, names: Names, ordinals: Callable, counter: Callable):
+    def __init__(self, spark: SparkSession, relations: dict[str, A.Relation], types: TypeEnvironment, bits: int, names: Names, ordinals: Callable, counter: Callable, is_set: Callable[[str], bool]):
         self.spark, self.relations, self.types, self.bits, self.names = spark, relations, types, bits, names
-        self.ordinals, self.counter = ordinals, counter
+        self.ordinals, self.counter, self.is_set = ordinals, counter, is_set
 
     def sql_type(self, declared: str) -> str:
         return scalars.number_type(self.bits) if self.types.kind(declared) == "number" else "string"
@@ -309,7 +309,7 @@ class Body:
         out = self.col(b.var)
         kind = scalars.number_type(ctx.bits)
         if agg.op == "count":
-            single = len(body) == 1 and isinstance(body[0], A.Atom) and len(set(body[0].args)) == len(body[0].args)
+            single = len(body) == 1 and isinstance(body[0], A.Atom) and len(set(body[0].args)) == len(body[0].args) and ctx.is_set(body[0].name)
             rows = df if single else df.distinct()
             value = F.count(F.lit(1)).cast(kind).alias(out)
         else:

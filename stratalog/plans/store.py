@@ -58,9 +58,18 @@ class Table:
         self.store, self.name, self.schema = store, name, schema
         self.paths: list[str] = []
         self.counts: list[int] = []
+        self.view: DataFrame | None = None  # a plan that stands for the relation; it may repeat tuples
+        self.is_set = True
+
+    def lazily(self, view: DataFrame, is_set: bool) -> None:
+        self.view, self.is_set = view, is_set
 
     @property
     def rows(self) -> int:
+        """How many tuples; of a view an estimate from what Catalyst knows about its size."""
+        if self.view is not None:
+            size = int(str(self.view._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            return max(1, size // (16 * max(1, len(self.schema))))
         return sum(self.counts)
 
     def add(self, path: str, rows: int) -> None:
@@ -69,7 +78,7 @@ class Table:
             self.counts.append(rows)
 
     def df(self) -> DataFrame:
-        return self.store.read(self.paths, self.schema)
+        return self.view if self.view is not None else self.store.read(self.paths, self.schema)
 
     def before_last(self, last: bool) -> DataFrame:
         """All but the newest increment."""

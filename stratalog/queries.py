@@ -42,7 +42,7 @@ def _query(name: str, text: str, bits: int) -> Callable[[SparkSession, str], Dat
         for r in names:
             table, columns = TABLES[r]
             engine.set_input(r, spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*[c for _, _, c in columns]))
-        return engine.run(["q"]).df("q")
+        return engine.run(["q"], lazy_outputs=True).df("q")
 
     run.__name__, run.__doc__ = name, text
     return run
