@@ -6,23 +6,14 @@ Nothing here keeps state on one machine: what cuts lineage is a Parquet table un
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def prepare(spark: SparkSession) -> None:
-    """Put the library's root on the Python path of the workers (a cluster ships it with --py-files)."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-
+from ..session import prepare  # noqa: F401 - the operators take it from here
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is configured (tests, one machine) a folder of our own."""
@@ -42,9 +33,20 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    # shuffle files of what was just written go when the driver's JVM drops its last reference to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return back
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that nothing will read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -72,7 +74,8 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
         down = large.where("u <> v").distinct()  # u > v in every row
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = stored(spark, small, "edges")
+        last, e = e, stored(spark, small, "edges")
+        discard(last)
         now = tuple(e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, prepare, stored
+from .common import components, discard, documents, prepare, stored
 from .textkit import Words, buffers, mix, slices, sorted_unique, windows
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
@@ -178,6 +178,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     open_rows = shared.where("size > 2").join(place, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
     mixed = open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     rest = stored(spark, open_rows.join(mixed, "key", "left_semi"), "open")
+    discard(pairs, shared)
     across = rest.alias("s").join(rest.alias("t"), "key").where("s.node < t.node and s.part <> t.part").select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
     more = stored(spark, confirmed(docs, nodes, stored(spark, near_signatures(across, nodes, percent), "pairs"), size, percent), "links")
     if not more.isEmpty():
