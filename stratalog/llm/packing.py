@@ -72,7 +72,7 @@ def encode_pieces(docs: DataFrame, encoder, capacity: int = 1024, end_id: int =
 
     def run(batches):
         coder, row = encoder(), 0
-        for part in slices(batches, most=8 << 20):
+        for part in slices(batches, most=2 << 20):
             ids, at = coder.encode(*buffers(part.column(1)))
             out = []
             for doc, lo, hi in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
@@ -86,6 +86,7 @@ def encode_pieces(docs: DataFrame, encoder, capacity: int = 1024, end_id: int =
                 else:
                     out.extend((doc, s, min(capacity, n - s), zlib.crc32(raw[4 * s : 4 * (s + capacity)]), n, grp) for s in range(0, n, capacity))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            del ids, at, out
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long")
 

@@ -75,7 +75,7 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """ids of whole chunks. A worker keeps at most ``most`` distinct pre-tokens, then forgets all and starts anew."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         import tiktoken
 
         self.one = tiktoken.Encoding("byte_bpe", pat_str=r"[^\n]+|\n", mergeable_ranks=byte_ranks(path), special_tokens={})._core_bpe.encode_single_piece

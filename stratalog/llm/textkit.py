@@ -6,6 +6,8 @@ of bytes comes from one prefix sum (a polynomial over 64 bits), so spans of ever
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,19 +55,34 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def slices(batches, column: str = "text", most: int = 4 << 20):
-    """Record batches cut into slices of about ``most`` bytes of text; one longer text is a slice by itself."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        _, offs = buffers(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < n:
-            to = int(np.searchsorted(offs, offs[at] + most, "right")) - 1
-            to = min(n, max(at + 1, to))
-            yield batch.slice(at, to - at)
-            at = to
+def slices(batches, column: str = "text", most: int = 2 << 20):
+    """Record batches cut into slices of about ``most`` bytes of text; one longer text is a slice by itself. At the end
+    the worker, which other tasks use again, gives back what it cached."""
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            _, offs = buffers(batch.column(batch.schema.get_field_index(column)))
+            at = 0
+            while at < n:
+                to = int(np.searchsorted(offs, offs[at] + most, "right")) - 1
+                to = min(n, max(at + 1, to))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        release()
+
+
+def release() -> None:
+    """Frees cached powers and returns free memory to the system, where the C library can."""
+    _pow.clear()
+    _pow["n"] = 0
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 class Words:
