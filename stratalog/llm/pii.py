@@ -52,7 +52,7 @@ def luhn(number: str) -> bool:
 def valid(kind: str, s: str) -> bool:
     """The arithmetic of a kind."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p or 256) <= 255 for p in s.split("."))
+        return bool(_RULES["ip"].fullmatch(s)) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
     if kind == "card":
         d = digits(s)
         return 13 <= len(d) <= 19 and luhn(d)

@@ -308,3 +308,12 @@ def test_personal_data(spark, odd_docs, no_docs, words):
     assert pii.personal_data(spark, odd_docs).count() == odd_docs.count()
     assert pii.personal_data(spark, no_docs).count() == 0
     assert pii.digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+def test_prices_and_versions_are_no_addresses(spark):
+    odd = ["$12.50", "v1.2.3", "10.55%", "(3.14)", "1.2.3.x", "192.168", "10.0.0.", "１.２.３.４"]
+    texts = [f"take {t} or {t}{t} now, mail a@b.cd" for t in odd]
+    got = pii.personal_data(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in got} == {i: pii.base_spans(t) for i, t in enumerate(texts)}
+    assert not any(pii.valid("ip", t) for t in odd)
+    assert pii.valid("ip", "10.0.0.1") and pii.valid("ip", "010.0.0.0255") and not pii.valid("ip", "1.2.3.256") and not pii.valid("ip", "1.2.3.4000")
