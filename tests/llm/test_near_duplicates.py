@@ -193,3 +193,51 @@ def test_words_of_a_chunk():
     h = w.hashes()
     assert h[2] == h[4] and h[0] != h[1]
     assert h[1] == Words(np.frombuffer(b"b", np.uint8), np.array([0, 1])).hashes()[0]
+
+
+def best_similarity(x, y, least):
+    """Brute force: the highest similarity of a passage of x and one of y that are ``least`` words at least."""
+    k = substrings.SIZE
+    a, b = ([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] for w in (x, y))
+    n, most = least - k + 1, 0.0
+    for i in range(len(a) - n + 1):
+        for j in range(i + n, len(a) + 1):
+            s = set(a[i:j])
+            for t in range(0, len(b) - n + 1):
+                for u in range(t + n, len(b) + 1):
+                    if min(j - i, u - t) > most * max(j - i, u - t):
+                        r = set(b[t:u])
+                        most = max(most, len(s & r) / len(s | r))
+    return most
+
+
+def test_passages_with_words_put_in_are_found():
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 1 << 31, n).astype(np.uint32)
+
+    def put_in(w, at, k):
+        return np.concatenate([w[:at], fresh(k), w[at:]])
+
+    def check(x, y, near):
+        for one, other in ((x, y), (y, x)):
+            one, other = np.concatenate([fresh(12), one, fresh(12)]), np.concatenate([fresh(9), other, fresh(15)])
+            got = substrings.passages(one, other, 50, 80)
+            assert bool(got) == near
+            for s, e, t, u, similarity in got:
+                p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one[s:e], other[t:u]))
+                assert similarity == len(p & q) / len(p | q) >= 0.8 and min(e - s, u - t) >= 50
+
+    for n, k in ((60, 3), (80, 6), (95, 12), (50, 0), (55, 2)):
+        w = fresh(n)
+        check(w, put_in(w, n // 2, k), True)
+    first, last = fresh(25), fresh(70)
+    check(np.concatenate([first, last]), np.concatenate([first, fresh(8), last]), True)
+    for n in range(50, 96, 3):
+        w = fresh(n)
+        other = put_in(put_in(w, int(rng.integers(10, n - 10)), int(rng.integers(1, 9))), int(rng.integers(10, n - 10)), int(rng.integers(0, 3)))
+        if n <= 59:
+            check(w, other, best_similarity(w.tolist(), other.tolist(), 50) >= 0.8)
+        else:
+            p, q = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other))
+            if len(p & q) >= 0.8 * len(p | q):
+                check(w, other, True)
