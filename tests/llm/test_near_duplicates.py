@@ -241,3 +241,30 @@ def test_passages_with_words_put_in_are_found():
             p, q = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other))
             if len(p & q) >= 0.8 * len(p | q):
                 check(w, other, True)
+
+
+def test_passages_beside_a_star_are_found(spark):
+    """Two documents share a passage exactly, of which an earlier one holds a version that is not alike enough; a
+    hub holds two versions of a passage, of which only its second is alike enough."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def version(passage, k):  # k words changed at the end lose k shingles or so
+        return passage[: len(passage) - k] + fresh(k)
+
+    docs, want = {}, {}
+    for i in range(40):
+        passage = fresh(50)
+        docs[i] = fresh(30) + version(passage, 7 + i % 5) + fresh(30)
+        docs[100 + i] = fresh(20) + passage + fresh(40)
+        docs[200 + i] = fresh(40) + passage + fresh(20)
+        want[200 + i] = (100 + i, 40)
+    for i in range(20):
+        passage = fresh(50)
+        docs[300 + i] = fresh(20) + version(passage, 25) + fresh(60) + passage + fresh(20)
+        docs[400 + i] = fresh(35) + passage + fresh(20)
+        want[400 + i] = (300 + i, 35)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = substrings.repeated_passages(spark, df).collect()
+    found = {r["doc_id"] for r in got if r["doc_id"] in want and r["other_id"] == want[r["doc_id"]][0] and r["start"] <= want[r["doc_id"]][1] and r["end"] >= want[r["doc_id"]][1] + 50}
+    assert found == set(want)
