@@ -7,8 +7,10 @@ certain (19 of 50 symbols by default; sets of similarity 0.8 differ in 10 on ave
 found unless each of the ten chunks has two errors, which at 0.8 happens to fewer than two pairs in a million).
 
 No bucket is expanded into pairs. Equal sets are one node. Each bucket links its members to its least one (a star);
-links confirmed on full sets give components, and only buckets whose members are still in different components are
-joined once more, across components. A link inside a component can't change the result, so none is lost.
+links confirmed on full sets give components. Nodes that share a bucket, are not its hub and are still in different
+components are open; any link not found yet is between two of those. They meet once more where they share one of their
+rarest shingles, which similar sets must (:func:`sharing_rare`), so what many texts have in common (a license, a
+template) makes no pairs. A link inside a component can't change the result, so none is lost.
 
 Defined results: null or wordless text has an empty set, links with nothing and is kept; a row with null doc_id has a
 null component and is kept; rows that repeat a doc_id are compared by their own texts; an empty table gives an empty
@@ -27,8 +29,9 @@ from .textkit import Words, buffers, mix, slices, sorted_unique, windows
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Pairs whose signatures differ in more symbols aren't compared in full: at similarity 0.8 that is 5.6 deviations off.
-FAR = 26
+#: Pairs whose signatures differ in more symbols aren't compared in full: at similarity 0.8 that happens to one pair in
+#: 10^11 (a binomial tail of 50 symbols), as rarely as the 64-bit hashes of this module collide in a large corpus.
+FAR = 32
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -136,17 +139,49 @@ def near_signatures(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes with 100 * intersection >= percent * union, on their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, members): the whole shingle sets, sorted, of the wanted nodes."""
+    schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+    ids = wanted.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
 
-    def sets(batches):
-        schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+    def run(batches):
         for part in slices(batches, "text"):
             x, bounds = shingle_sets(*buffers(part.column(0)), size)
             yield pa.RecordBatch.from_arrays([pa.array(set_hashes(x, bounds)), pa.array([x[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())], schema=schema)
 
-    full = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, members binary")
+    return made.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+
+
+def sharing_rare(docs: DataFrame, nodes: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of open nodes in different components that share one of their rarest shingles. Ordered by how
+    many open nodes have them, sets that are similar share one of each one's first n - ceil(percent n / 100) + 1
+    shingles; what many texts have, such as a license, comes last and brings none together."""
+    schema = pa.schema([("node", pa.int64()), ("item", pa.int64())])
+
+    def explode(batches):
+        for b in batches:
+            for node, members in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(members.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x)], schema=schema)
+
+    items = full_sets(docs, nodes, left.select("node"), size).mapInArrow(explode, "node long, item long")
+    common = items.groupBy("item").count().where("count > 1")
+    # shingles of one node alone come first in its order and bring it together with none: their number is enough
+    known = items.join(common, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("items"))
+    sizes = nodes.select("node", "n").join(left, "node")
+    first = known.join(sizes, "node").withColumn("take", F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 - (n - size(items)) as int)")).where("take > 0")
+    posts = first.select("node", "part", "n", F.explode(F.slice("items", F.lit(1), F.col("take"))).alias("i")).select("node", "part", "n", F.col("i.item").alias("item"))
+    mixed = posts.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
+    posts = posts.join(mixed, "item", "left_semi").select("node", "part", "n", "item")
+    other = posts.toDF("b", "pb", "nb", "item")
+    both = posts.toDF("a", "pa", "na", "item").join(other, "item").where("a < b and pa <> pb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return both.select("a", "b").distinct()
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes with 100 * intersection >= percent * union, on their full sets."""
+    full = full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size)
 
     def compare(batches):
         for b in batches:
@@ -167,19 +202,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     rows = stored(spark, sketches(docs, size), "sketches")
     nodes = stored(spark, rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     keys = keyed(nodes)
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(spark, keys.join(hubs, "key"), "buckets")
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = stored(spark, keys.join(shared, "key"), "buckets")
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"))
+    met = buckets.join(hubs, "key").where("node <> hub")
+    stars = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(spark, near_signatures(stars, nodes, percent), "pairs")
     links = stored(spark, confirmed(docs, nodes, pairs, size, percent), "links")
+    discard(pairs)
     parts = components(spark, links)
-    # what the stars leave open: larger buckets that hold several components
+    # what the stars leave open: nodes that share a bucket, of which neither is the hub, in different components
     place = parts.select("node", F.col("component_id").alias("part"))
-    open_rows = shared.where("size > 2").join(place, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
-    mixed = open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(spark, open_rows.join(mixed, "key", "left_semi"), "open")
-    discard(pairs, shared)
-    across = rest.alias("s").join(rest.alias("t"), "key").where("s.node < t.node and s.part <> t.part").select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
+    rest = met.select("key", "node").join(place, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    mixed = rest.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    left = stored(spark, rest.join(mixed, "key", "left_semi").select("node", "part").distinct(), "open")
+    discard(buckets)
+    across = sharing_rare(docs, nodes, left, size, percent)
     more = stored(spark, confirmed(docs, nodes, stored(spark, near_signatures(across, nodes, percent), "pairs"), size, percent), "links")
     if not more.isEmpty():
         parts = components(spark, links.unionByName(more))
