@@ -233,7 +233,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-ORACLE = """
+SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: cast(x AS double)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0

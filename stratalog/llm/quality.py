@@ -147,7 +147,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("n_lines")
 
 
-def _oracle() -> str:
+def _sql() -> str:
     bins = ",\n  ".join(f"{_bin(sql, low).replace(' AS int)', ' AS INTEGER)')} AS b_{m}" for m, (sql, low, _, _) in METRICS.items())
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, b_{m} AS bin FROM b" for m in METRICS)
     lims, bad = [], []
@@ -192,4 +192,4 @@ LEFT JOIN l AS l1 ON l1.level = 1 AND l1.docs >= {FEW} AND l1.lang IS NOT DISTIN
 """
 
 
-ORACLE = _oracle()
+SQL = _sql()

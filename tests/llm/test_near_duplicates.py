@@ -268,3 +268,54 @@ def test_passages_beside_a_star_are_found(spark):
     got = substrings.repeated_passages(spark, df).collect()
     found = {r["doc_id"] for r in got if r["doc_id"] in want and r["other_id"] == want[r["doc_id"]][0] and r["start"] <= want[r["doc_id"]][1] and r["end"] >= want[r["doc_id"]][1] + 50}
     assert found == set(want)
+
+
+def test_exact_repeats_and_near_ones_against_brute_force(spark):
+    """Every window of 50 words that an earlier text has as well lies in a found passage, also where a still earlier
+    text has a version of it; of pairs of near passages nine in ten at least are found."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, near = {}, {}
+    for i in range(40):
+        passage = fresh(60)
+        other = list(passage)
+        other[15], other[40] = fresh(2)
+        docs[i] = fresh(25) + other + fresh(10)
+        docs[100 + i] = fresh(30) + passage + fresh(20)
+        docs[200 + i] = fresh(10) + passage + fresh(35)
+    for i in range(40):
+        passage = fresh(70)
+        other = list(passage)
+        other[20 + i % 30] = fresh(1)[0]
+        docs[300 + i] = fresh(20) + passage + fresh(20)
+        docs[400 + i] = fresh(35) + other + fresh(5)
+        near[400 + i] = 300 + i
+    docs[500] = docs[100][40:95] + docs[101][35:85]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = [r.asDict() for r in substrings.repeated_passages(spark, df).collect()]
+    first, missed, windows = {}, 0, 0
+    for d in sorted(docs):
+        own = [(r["start"], r["end"]) for r in got if r["doc_id"] == d]
+        for s in range(len(docs[d]) - 49):
+            w = tuple(docs[d][s : s + 50])
+            if first.setdefault(w, d) != d:
+                windows += 1
+                missed += not any(a <= s and s + 50 <= b for a, b in own)
+    assert windows > 400 and missed == 0
+    found = {r["doc_id"] for r in got if near.get(r["doc_id"]) == r["other_id"]}
+    assert len(found) >= 0.9 * len(near)
+    for r in got:
+        x, y = docs[r["doc_id"]][r["start"] : r["end"]], docs[r["other_id"]][r["other_start"] : r["other_end"]]
+        p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        assert r["similarity"] == len(p & q) / len(p | q) >= 0.8 and r["other_id"] < r["doc_id"]
+
+
+def test_cuts_keep_columns_and_ids_with_several_texts(spark, words):
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+    shared = fresh(60)
+    rows = [(1, fresh(20) + " " + shared, "a", 1), (2, fresh(30) + " " + shared, "b", 2), (7, fresh(70), "c", 3), (7, fresh(60) + " " + shared, "d", 4), (7, fresh(61), "e", 5), (None, shared, None, None), (9, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, cuts int")
+    out = {r["cuts"]: r for r in substrings.cut_repeats(spark, df).collect()}
+    assert len(out[2]["text"].split()) == 30 and out[2]["__id"] == "b" and out[1]["text"] == rows[0][1]
+    assert out[3]["text"] == rows[2][1] and out[5]["text"] == rows[4][1] and len(out[4]["text"].split()) in (60, 120)

@@ -275,10 +275,10 @@ def test_secret_scan_and_ledger(spark, odd_docs, no_docs):
     more = docs.unionByName(spark.createDataFrame([(50, "token=zzzzzzzz")], "doc_id long, text string"))
     assert secret_scan.findings_by_path(more, ledger).count() == 9
     assert ledger.seen().count() == seen + 1  # only the new blob was scanned
-    newer = (*secret_scan.RULES[:-1], secret_scan.Rule("jwt", secret_scan.RULES[-1].pattern, version="2"))
+    newer = (*secret_scan.RULES[:-1], secret_scan.Rule("jwt", secret_scan.RULES[-1].pattern, version="next"))
     secret_scan.findings_by_path(more, ledger, rules=newer).count()
     last = ledger.seen().where("size(rules) = 1").select("rules").distinct().collect()
-    assert [r["rules"] for r in last] == [["jwt@2"]]  # only the new rule version
+    assert [r["rules"] for r in last] == [["jwt@next"]]  # only the new rule version
     masked = secret_scan.redact(docs, secret_scan.BlobLedger(spark)).where("doc_id = 0").first()["text"]
     assert masked == "[SECRET] x [SECRET]\" end"
     odd = secret_scan.redact(odd_docs, secret_scan.BlobLedger(spark))
@@ -317,3 +317,15 @@ def test_prices_and_versions_are_no_addresses(spark):
     assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in got} == {i: pii.base_spans(t) for i, t in enumerate(texts)}
     assert not any(pii.valid("ip", t) for t in odd)
     assert pii.valid("ip", "10.0.0.1") and pii.valid("ip", "010.0.0.0255") and not pii.valid("ip", "1.2.3.256") and not pii.valid("ip", "1.2.3.4000")
+
+
+def test_secret_rules_on_hard_texts(spark):
+    """Long texts that a rule nearly matches again and again; blocks of keys; columns named like the join's own."""
+    hard = ["-----BEGIN " + "AB " * 20000, "-----BEGIN PRIVATE KEY-----" * 3000, "-----BEGIN PRIVATE KEY-----" + "-" * 100000, "-eyJ" * 25000, "ghp_" * 25000, "token" + " " * 100000]
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\nMIIE+/=\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, t, 99, "b", "s") for i, t in enumerate(hard)] + [(50, f"a {block} z", 99, "b", "s"), (51, None, 99, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, salt int, blob string, spans string")
+    out = {r["doc_id"]: r for r in secret_scan.redact(df, secret_scan.BlobLedger(spark)).collect()}
+    assert out[50]["text"] == "a [SECRET] z" and out[51]["text"] is None
+    assert out[1]["text"] == "[SECRET]" * 3000 and all(out[i]["text"] == hard[i] for i in (0, 3, 4, 5))
+    assert all(r["salt"] == 99 for r in out.values()) and out[0]["blob"] == "b" and out[0]["spans"] == "s"
