@@ -257,4 +257,4 @@ _PROGRAMS: dict[str, tuple[str, str] | tuple[str, str, int] | tuple[str, None]]
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n, p[0], p[2] if len(p) > 2 else 64) for n, p in _PROGRAMS.items()}
-ORACLES: dict[str, str] = {n: p[1] for n, p in _PROGRAMS.items() if p[1]}
+CHECK_SQL: dict[str, str] = {n: p[1] for n, p in _PROGRAMS.items() if p[1]}
