@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 
 def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A small literal frame, sent as Arrow, with no Python on the executors."""
@@ -23,10 +24,7 @@ class Store:
     """A run's tables. Lineage ends at every table, so a lost executor costs at most the current round."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        base = root or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = root or shared_dir(spark)
         self.spark, self.root = spark, f"{base.rstrip('/')}/stratalog/run-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +17,15 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names. Where none is set, a folder of our own, on one machine only:
+    executors elsewhere couldn't read it."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = "file://" + tempfile.mkdtemp(prefix="stratalog-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
