@@ -7,21 +7,12 @@ Nothing here keeps state on one machine: what cuts lineage is a Parquet table un
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare  # noqa: F401 - the operators take it from here
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is configured (tests, one machine) a folder of our own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+from ..session import prepare, shared_dir  # noqa: F401 - the operators take prepare from here
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
