@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -
     return made.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
 
-def sharing_rare(docs: DataFrame, nodes: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+def sharing_rare(spark: SparkSession, docs: DataFrame, nodes: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of open nodes in different components that share one of their rarest shingles. Ordered by how
     many open nodes have them, sets that are similar share one of each one's first n - ceil(percent n / 100) + 1
     shingles; what many texts have, such as a license, comes last and brings none together."""
@@ -165,7 +165,8 @@ def sharing_rare(docs: DataFrame, nodes: DataFrame, left: DataFrame, size: int,
                 x = np.frombuffer(members.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x)], schema=schema)
 
-    items = full_sets(docs, nodes, left.select("node"), size).mapInArrow(explode, "node long, item long")
+    sets = stored(spark, full_sets(docs, nodes, left.select("node"), size), "sets")
+    items = sets.mapInArrow(explode, "node long, item long")
     common = items.groupBy("item").count().where("count > 1")
     # shingles of one node alone come first in its order and bring it together with none: their number is enough
     known = items.join(common, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("items"))
@@ -176,12 +177,14 @@ def sharing_rare(docs: DataFrame, nodes: DataFrame, left: DataFrame, size: int,
     posts = posts.join(mixed, "item", "left_semi").select("node", "part", "n", "item")
     other = posts.toDF("b", "pb", "nb", "item")
     both = posts.toDF("a", "pa", "na", "item").join(other, "item").where("a < b and pa <> pb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return both.select("a", "b").distinct()
+    pairs = stored(spark, both.select("a", "b").distinct(), "pairs")
+    discard(sets)
+    return pairs
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes with 100 * intersection >= percent * union, on their full sets."""
-    full = full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size)
+def confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes with 100 * intersection >= percent * union, on their full sets; a stored table."""
+    full = stored(spark, full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size), "sets")
 
     def compare(batches):
         for b in batches:
@@ -193,7 +196,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
             yield b.filter(pa.array(ok)).select(["a", "b"])
 
     sa, sb = full.select(F.col("node").alias("a"), F.col("members").alias("ma")), full.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+    links = stored(spark, pairs.join(sa, "a").join(sb, "b").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
+    discard(full)
+    return links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -208,7 +213,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     met = buckets.join(hubs, "key").where("node <> hub")
     stars = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(spark, near_signatures(stars, nodes, percent), "pairs")
-    links = stored(spark, confirmed(docs, nodes, pairs, size, percent), "links")
+    links = confirmed(spark, docs, nodes, pairs, size, percent)
     discard(pairs)
     parts = components(spark, links)
     # what the stars leave open: nodes that share a bucket, of which neither is the hub, in different components
@@ -217,8 +222,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     mixed = rest.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     left = stored(spark, rest.join(mixed, "key", "left_semi").select("node", "part").distinct(), "open")
     discard(buckets)
-    across = sharing_rare(docs, nodes, left, size, percent)
-    more = stored(spark, confirmed(docs, nodes, stored(spark, near_signatures(across, nodes, percent), "pairs"), size, percent), "links")
+    across = sharing_rare(spark, docs, nodes, left, size, percent)
+    more = confirmed(spark, docs, nodes, stored(spark, near_signatures(across, nodes, percent), "pairs"), size, percent)
+    discard(across)
     if not more.isEmpty():
         parts = components(spark, links.unionByName(more))
     whole = nodes.join(parts, "node", "left").select("node", "rep", F.coalesce("component_id", "node").alias("part"))
