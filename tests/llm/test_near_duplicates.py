@@ -320,3 +320,55 @@ def test_cuts_keep_columns_and_ids_with_several_texts(spark, words):
     out = {r["cuts"]: r for r in substrings.cut_repeats(spark, df).collect()}
     assert len(out[2]["text"].split()) == 30 and out[2]["__id"] == "b" and out[1]["text"] == rows[0][1]
     assert out[3]["text"] == rows[2][1] and out[5]["text"] == rows[4][1] and len(out[4]["text"].split()) in (60, 120)
+
+
+@pytest.mark.parametrize("direct", [substrings.DIRECT, 2])
+def test_near_ones_of_covered_passages_are_found(spark, monkeypatch, direct):
+    """A passage that is near a covered one only, which the group's first member isn't, is found, though exact repeats
+    are so many that a round of stars adds next to nothing."""
+    monkeypatch.setattr(substrings, "DIRECT", direct)
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = {}, set()
+    for i in range(60):
+        passage = fresh(50)
+        for k, at in ((0, 15), (1, None), (2, 35), (3, 25)):
+            version = list(passage)
+            if at is not None:
+                version[at : at + 1] = fresh(1)
+            docs[1000 * k + i] = fresh(10 + 7 * k) + version + fresh(30 - 5 * k)
+        want |= {(1000 + i, i), (2000 + i, 1000 + i), (3000 + i, 1000 + i)}
+    line = fresh(8)
+    for i in range(40):  # one line in common
+        docs[4000 + i] = fresh(60) + line
+    repeat = fresh(60)
+    for i in range(300):
+        docs[5000 + i] = repeat + fresh(5)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"]) for r in substrings.repeated_passages(spark, df).collect()}
+    near = {(d, o) for d, o in got if d < 4000}
+    assert near <= want and len(near) >= 0.95 * len(want) and not any(4000 <= d < 5000 for d, _ in got)
+
+
+def test_similar_passages_share_a_rare_item():
+    rng = np.random.default_rng(8)
+    width = 46
+    for _ in range(300):
+        n = int(rng.integers(width, 2 * width))
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = x.copy()
+        at = rng.permutation(n)[: n // 9]  # similarity (n - n // 9) / (n + n // 9), 0.8 or a little more
+        low, high = sorted(set(range(n)) - set(at.tolist()))[:: max(1, n // 2)][:2]
+        if high - low >= width:
+            continue
+        y[at] = rng.integers(0, 1 << 63, len(at)).astype(np.uint64)
+        known = np.sort(rng.permutation(x)[: n // 2])
+        often = rng.integers(1, 60, len(known))
+        around = [rng.integers(0, 1 << 63, int(rng.integers(0, 90))).astype(np.uint64) for _ in range(4)]
+        found = []
+        for ids, left, right in ((x, *around[:2]), (y, *around[2:])):
+            found.append(substrings.rare_items(np.concatenate([left, ids, right]), len(left) + low, len(left) + high, width, 80, known, often))
+        assert len(np.intersect1d(*found))
+    line = np.arange(20, dtype=np.uint64)  # seen often, and all that is shared
+    one, other = (substrings.rare_items(np.concatenate([rng.integers(1 << 40, 1 << 63, 60).astype(np.uint64), line]), 62, 75, width, 80, line, np.full(20, 60)) for _ in range(2))
+    assert len(one) and not len(np.intersect1d(one, other))
