@@ -372,3 +372,18 @@ def test_similar_passages_share_a_rare_item():
     line = np.arange(20, dtype=np.uint64)  # seen often, and all that is shared
     one, other = (substrings.rare_items(np.concatenate([rng.integers(1 << 40, 1 << 63, 60).astype(np.uint64), line]), 62, 75, width, 80, line, np.full(20, 60)) for _ in range(2))
     assert len(one) and not len(np.intersect1d(one, other))
+
+
+def test_near_ones_of_covered_passages_are_cut(spark):
+    """The same for the pipeline's stage: what is near a covered passage only is cut."""
+    rng = random.Random(22)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for i in range(60):
+        passage = fresh(50)
+        for k, at in enumerate((15, None, 35)):
+            docs[1000 * k + i] = fresh(10) + [*passage[:at], *fresh(1), *passage[at + 1 :]] + fresh(30) if at else fresh(20) + passage + fresh(25)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    left = {r["doc_id"]: len(r["text"].split()) for r in substrings.cut_repeats(spark, df).collect()}
+    assert all(left[i] == len(docs[i]) for i in range(60))
+    assert sum(left[2000 + i] <= 42 for i in range(60)) >= 57
