@@ -387,3 +387,34 @@ def test_near_ones_of_covered_passages_are_cut(spark):
     left = {r["doc_id"]: len(r["text"].split()) for r in substrings.cut_repeats(spark, df).collect()}
     assert all(left[i] == len(docs[i]) for i in range(60))
     assert sum(left[2000 + i] <= 42 for i in range(60)) >= 57
+
+
+def test_near_ones_of_one_passage_meet(spark):
+    """Two passages that are near the same earlier one are a pair as well, and what they have in common beyond it is cut."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = {}, set()
+    for i in range(60):
+        passage, more = fresh(60), fresh(12)
+        docs[i] = fresh(10) + passage + fresh(30)
+        for k in (1, 2):
+            docs[1000 * k + i] = fresh(20) + passage[:30] + fresh(1) + passage[31:] + more + fresh(20)
+        want |= {(1000 + i, i), (2000 + i, i), (2000 + i, 1000 + i)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"]) for r in substrings.repeated_passages(spark, df).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+    left = {r["doc_id"]: len(r["text"].split()) for r in substrings.cut_repeats(spark, df).collect()}
+    assert sum(left[2000 + i] <= 42 for i in range(60)) >= 57
+
+
+def test_similar_sets_of_ranges():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        ids = [rng.integers(0, 30, int(rng.integers(40, 90))) for _ in range(2)]
+        s, e, t, u = ranges = np.array([np.sort(rng.integers(0, len(x) + 1, (2, 20)), axis=0) for x in ids]).reshape(4, 20)
+        far = len(ids[1]) + 7
+        got = substrings.similar_sets(ids[0], np.sort(ids[1] * far + np.arange(len(ids[1]))), far, ranges, 80)
+        sets = [(set(ids[0][s[k] : e[k]]), set(ids[1][t[k] : u[k]])) for k in range(20)]
+        assert got.tolist() == [100 * len(x & y) >= 80 * len(x | y) for x, y in sets]
+        place, p = rng.integers(0, 99, 50), np.sort(rng.integers(0, 50, (2, 20)), axis=0)
+        assert substrings.range_least(place, *p).tolist() == [place[i : j + 1].min() for i, j in p.T]
