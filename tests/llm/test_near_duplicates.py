@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalog.llm import minhash, pq, substrings
@@ -418,3 +419,36 @@ def test_similar_sets_of_ranges():
         assert got.tolist() == [100 * len(x & y) >= 80 * len(x | y) for x, y in sets]
         place, p = rng.integers(0, 99, 50), np.sort(rng.integers(0, 50, (2, 20)), axis=0)
         assert substrings.range_least(place, *p).tolist() == [place[i : j + 1].min() for i, j in p.T]
+
+
+def test_meetings_of_a_large_group_are_few(spark, monkeypatch):
+    """Near versions of one passage share many windows and many rare shingles: all pairs are found, and what is handed on
+    grows with the pairs, not with all that each two have in common."""
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, n = fresh(90), 100
+    docs = [fresh(10) + [*passage[: 43 + i % 5], *fresh(1), *passage[44 + i % 5 :]] + fresh(10) for i in range(n)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    rows, checked = [], substrings.checked
+    monkeypatch.setattr(substrings, "checked", lambda spark, texts, common, *rest: rows.append(common.count()) or checked(spark, texts, common, *rest))
+    got = {(r["doc_id"], r["other_id"]) for r in substrings.repeated_passages(spark, df).collect()}
+    pairs = n * (n - 1) // 2
+    assert len(got) >= 0.97 * pairs and rows[0] <= 20 * pairs, (len(got), rows[0])
+
+
+def test_members_that_share_an_item():
+    rng = np.random.default_rng(10)
+    for n, most in ((40, 1 << 24), (40, 100), (3, 1)):
+        member, item = np.repeat(np.arange(n), 4), rng.integers(0, 60, 4 * n)
+        want = {(i, j) for j in range(n) for i in range(j) if set(item[4 * i : 4 * i + 4]) & set(item[4 * j : 4 * j + 4])}
+        got = [(i, j) for one, other in substrings.sharing(member, item, n, most) for i, j in zip(one.tolist(), other.tolist())]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_whole_groups_of_sorted_rows():
+    key = np.sort(np.random.default_rng(11).integers(0, 9, 60))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(60))], names=["key", "at"])
+    for size in (1, 3, 7, 60):
+        parts = list(substrings.whole_groups((rows.slice(i, size) for i in range(0, 60, size)), 1))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == list(range(60))
+        assert sum(len(set(p.column(0).to_pylist())) for p in parts) == len(set(key.tolist()))
