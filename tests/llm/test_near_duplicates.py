@@ -436,6 +436,22 @@ def test_meetings_of_a_large_group_are_few(spark, monkeypatch):
     assert len(got) >= 0.97 * pairs and rows[0] <= 20 * pairs, (len(got), rows[0])
 
 
+def test_pairs_are_compared_in_slices(spark, monkeypatch):
+    """No slice holds most of the pairs with their words, and together they give all rows."""
+    rng = random.Random(25)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for _ in range(30):
+        passage = fresh(90)
+        docs += [fresh(10) + [*passage[: 43 + i], *fresh(1), *passage[44 + i :]] + fresh(10) for i in range(5)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    rows, verified = [], substrings.verified
+    monkeypatch.setattr(substrings, "SLICE", 90, raising=False)
+    monkeypatch.setattr(substrings, "verified", lambda found, *rest: rows.append(found.count()) or verified(found, *rest))
+    got = {(r["doc_id"], r["other_id"]) for r in substrings.repeated_passages(spark, df).collect()}
+    assert len(got) >= 0.97 * 300 and sum(rows) >= len(got) and max(rows) <= 0.8 * sum(rows), (len(got), rows)
+
+
 def test_members_that_share_an_item():
     rng = np.random.default_rng(10)
     for n, most in ((40, 1 << 24), (40, 100), (3, 1)):
