@@ -468,3 +468,29 @@ def test_whole_groups_of_sorted_rows():
         parts = list(substrings.whole_groups((rows.slice(i, size) for i in range(0, 60, size)), 1))
         assert [x for p in parts for x in p.column(1).to_pylist()] == list(range(60))
         assert sum(len(set(p.column(0).to_pylist())) for p in parts) == len(set(key.tolist()))
+
+
+def test_meetings_of_a_large_group_are_merged_in_bounded_memory():
+    import tracemalloc
+
+    class Frame:  # hands the worker's function out
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(12)
+    n = 3000
+    items = [rng.integers(0, 20, 6).astype(np.int64).tobytes() for _ in range(n)]
+    place = (rng.integers(0, 4000, n) << 11) | (60 << 1) | 1
+    group = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(place), pa.array(items, pa.binary())], names=["key", "doc", "place", "items"])
+    run = substrings.meetings(Frame(), 50)
+    tracemalloc.start()
+    pairs = [b.column(0).to_numpy() * n + b.column(1).to_numpy() for b in run([group])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    has = np.zeros((n, 20), np.int32)
+    for i, x in enumerate(items):
+        has[i, np.frombuffer(x, np.int64)] = 1
+    assert np.array_equal(np.unique(np.concatenate(pairs)), np.flatnonzero(np.triu(has @ has.T, 1)))
+    assert peak < 250e6, peak
