@@ -48,6 +48,7 @@ class Body:
         self.todo_binds = list(r.binds)
         self.todo_negations = list(r.negations)
         self.kinds: dict[str, str] = {}
+        self.extremes: dict[int, tuple[str, str]] = {}
 
     # --- names
     def col(self, var: str) -> str:
@@ -237,6 +238,11 @@ class Body:
         self.todo_atoms.remove(i)
         needed = own & (later | self.bound)
         right, names = self.project(self.source(i, atom), atom, needed)
+        if i in self.extremes:
+            var, op = self.extremes[i]
+            others = [self.col(v) for v in names if v != var]
+            best = (F.min if op == "min" else F.max)(self.col(var)).alias(self.col(var))
+            right = (right.groupBy(*others).agg(best) if others else right.agg(best).where(F.col(self.col(var)).isNotNull())).select(*[self.col(v) for v in names])
         shared = [v for v in names if v in self.bound]
         new = [v for v in names if v not in self.bound]
         if self.df is None:
@@ -304,6 +310,8 @@ class Body:
         start = None if alone else self.df.select(*[self.col(v) for v in sorted(shared)]).distinct()
         sub = Body(ctx, inner_rule, lambda i, a: self.source(-1, a), lambda i, a: self.sizes(-1, a), self.types, want | shared, None, start, set() if alone else set(shared))
         sub.cols = self.cols
+        if agg.op != "count" and ctx.bits == 64:
+            sub.extremes = extremes(inner_rule, agg.op, agg.target, shared)
         df = sub.run()
         keys = [self.col(v) for v in sorted(shared)]
         out = self.col(b.var)
@@ -362,6 +370,48 @@ class Body:
         return self.frame().select(*[self.col(v) for v in sorted(self.keep & self.bound)]) if self.keep & self.bound else self.frame()
 
 
+def direction(t, var: str) -> int | None:
+    """1 if a term grows (or stays) with ``var``, -1 if it falls, 0 if ``var`` isn't in it, None if that isn't known."""
+    if var not in A.variables(t):
+        return 0
+    if isinstance(t, A.Var):
+        return 1
+    if isinstance(t, A.Functor) and t.op in ("neg", "+", "-"):
+        signs = (-1,) if t.op == "neg" else (1, 1 if t.op == "+" else -1)
+        found = [None if (d := direction(a, var)) is None else d * sign for a, sign in zip(t.args, signs)]
+        if None not in found and not {1, -1} <= set(found):
+            return next(d for d in found if d)
+    return None
+
+
+def extremes(r: Rule, op: str, target, shared: set[str]) -> dict[int, tuple[str, str]]:
+    """Atoms of a min or max aggregate's body of which, for equal other variables, one value of a variable decides:
+    {atom: (variable, "min" or "max")}. The variable is in no other atom, moves the target one way, and every
+    comparison that it is in holds more easily that way: of c > s the largest c is enough for the largest c + s. Without
+    it, all pairs of c and s would be made."""
+    out: dict[int, tuple[str, str]] = {}
+    if r.negations or r.binds or len(r.atoms) < 2:
+        return out
+    for i, atom in enumerate(r.atoms):
+        for a in atom.args:
+            if not isinstance(a, A.Var) or a.name in shared or i in out:
+                continue
+            v = a.name
+            if sum(x == a for b in r.atoms for x in b.args) != 1 or not (way := direction(target, v)):
+                continue
+            want = way if op == "max" else -way
+            for c in r.constraints:
+                if v not in A.variables(c):
+                    continue
+                sides = direction(c.left, v), direction(c.right, v)
+                greater = {">": 1, ">=": 1, "<": -1, "<=": -1}.get(c.op)
+                if greater is None or None in sides or {want * greater * sides[0], -want * greater * sides[1]} - {0, 1}:
+                    break
+            else:
+                out[i] = (v, "max" if want > 0 else "min")
+    return out
+
+
 def compile_rule(ctx: Context, r: Rule, source, sizes, version: int = 0, first: int | None = None) -> DataFrame:
     """The head's tuples (c0, c1, ...), not yet distinct."""
     types = ClauseTypes(r.source, ctx.relations, ctx.types)

@@ -49,6 +49,31 @@ def test_outer_variable_only_in_a_constraint_of_the_body(spark):
     assert rows(spark, text) == [(1, 0), (2, 1), (5, 2)]
 
 
+def test_an_extreme_under_a_comparison_makes_no_pairs(spark):
+    rng = random.Random(5)
+    c, s = ([(rng.randrange(300) - 150, rng.randrange(4)) for _ in range(150)] for _ in range(2))
+    facts = ".decl c(x:number,n:number) .decl s(x:number,n:number) .decl k(n:number) " + "".join(f"k({n}). " for n in range(4)) + "".join(f"{r}({x},{n}). " for r, t in (("c", c), ("s", s)) for x, n in t)
+    pairs = [(x, y, n) for x, n in c for y, m in s if n == m]
+    for op, target, test, value, ok in (
+        ("max", "x+y", "x > y", lambda x, y: x + y, lambda x, y: x > y),
+        ("min", "x+y", "x > y", lambda x, y: x + y, lambda x, y: x > y),
+        ("max", "y-x", "y < x", lambda x, y: y - x, lambda x, y: y < x),
+        ("min", "x-y", "10 <= x-y", lambda x, y: x - y, lambda x, y: 10 <= x - y),
+        ("max", "x-y", "x != y", lambda x, y: x - y, lambda x, y: x != y),
+        ("max", "x*y", "x > y", lambda x, y: x * y, lambda x, y: x > y),
+        ("max", "x+y", "y+5 = x", lambda x, y: x + y, lambda x, y: y + 5 == x),
+    ):
+        want = {}
+        for x, y, n in pairs:
+            if ok(x, y):
+                want[n] = (max if op == "max" else min)(want.get(n, value(x, y)), value(x, y))
+        assert rows(spark, facts + f".decl r(n:number,m:number) r(n,m) :- k(n), m = {op} {target} : {{ c(x,n), s(y,n), {test} }}.", number_bits=64) == sorted(want.items()), (op, target, test)
+    text = ".decl c(x:number,n:number) input .decl s(x:number,n:number) input .decl r(m:number) output r(m) :- m = max x+y : { c(x,n), s(y,n), x > y }."
+    n = 60_000  # 3.6 billion pairs
+    table = spark.range(n).selectExpr("id", "id % 1")
+    assert [tuple(r) for r in evaluate(spark, text, {"c": table, "s": table}, "r", number_bits=64).collect()] == [(2 * n - 3,)]
+
+
 def test_arithmetic_wraps_and_truncates(spark):
     text = ".decl a(x:number) a(2147483647). a(-7). .decl r(k:number,x:number) r(1,x+1) :- a(x). r(2,x/2) :- a(x). r(3,x%3) :- a(x). r(4,x*x) :- a(x). r(5,x^2) :- a(x), x < 0. r(6,-x) :- a(x)."
     assert rows(spark, text) == sorted([(1, -2147483648), (1, -6), (2, 1073741823), (2, -3), (3, 1), (3, -1), (4, 1), (4, 49), (5, 49), (6, -2147483647), (6, 7)])
