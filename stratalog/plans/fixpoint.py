@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..language import ast as A
-from .rules import Context, compile_rule
+from .rules import Context, compile_rule, wide_pairs
 from .store import Store, Table
 
 
@@ -72,6 +72,11 @@ class Evaluator:
         if lazy and not rules and facts is not None:
             self.tables[name].lazily(facts, False)
             return
+        if lazy and len(rules) == 1 and facts is None:
+            wide = wide_pairs(self.ctx, rules[0], lambda i, a: self.df(a.name))
+            if wide is not None:
+                self.tables[name].lazily(wide, True)
+                return
         frames = [compile_rule(self.ctx, r, lambda i, a: self.df(a.name), lambda i, a: self.tables[a.name].rows) for r in rules]
         if facts is not None:
             frames.append(facts)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, scalars
@@ -428,3 +428,46 @@ def compile_rule(ctx: Context, r: Rule, source, sizes, version: int = 0, first:
         value = body.expr(a)
         out.append((i, value, ctx.sql_type(at.type)))
     return body.frame().select(*[v.cast(t).alias(f"c{i}") for i, v, t in out])
+
+
+#: Combinations that one task of :func:`wide_pairs` makes, about.
+PAIRS = 4_000_000
+
+
+def wide_pairs(ctx: Context, r: Rule, source) -> DataFrame | None:
+    """The head's distinct tuples of a rule that pairs two atoms over variables which the head drops, where few values
+    of those stand for very many pairs; None for other rules and few pairs.
+
+    Rows of a value are spread by a hash of the first atom's side, which the second's meet in each part, so that tasks
+    stay as long however many pairs there are. Pairs aren't compared with each other to be distinct: of a first side
+    that is there with one value only, they can't repeat; others are made apart."""
+    head = [a.name for a in r.head.args if isinstance(a, A.Var)]
+    if len(r.atoms) != 2 or r.negations or r.binds or r.order(0) is not None or len(set(head)) != len(r.head.args):
+        return None
+    own = [A.variables(a) for a in r.atoms]
+    joint, names = own[0] & own[1], set(head)
+    if not joint or joint & names or not names <= own[0] | own[1] or not all(names & o for o in own):
+        return None
+    if any(not A.variables(c) <= names or any(isinstance(n, A.Counter) or isinstance(n, A.Functor) and n.op == "ord" for n in A.walk(c)) for c in r.constraints):
+        return None
+    body = Body(ctx, r, source, lambda i, a: 0, ClauseTypes(r.source, ctx.relations, ctx.types), names)
+    left, right = (body.project(source(i, a), a, (names | joint) & own[i])[0].distinct() for i, a in enumerate(r.atoms))
+    keys, first = [body.col(v) for v in sorted(joint)], [body.col(v) for v in head if v in own[0]]
+    sizes = left.groupBy(*keys).agg(F.count("*").cast("double").alias("n")).join(right.groupBy(*keys).agg(F.count("*").cast("double").alias("m")), keys)
+    total, most = sizes.agg(F.sum(F.col("n") * F.col("m")), F.max(F.col("n") * F.col("m"))).first()
+    if not total or total <= PAIRS:
+        return None
+    salts, parts = int(most // PAIRS) + 1, min(20_000, 2 * int(total // PAIRS) + 2)
+    left = left.withColumn("__values", F.count("*").over(Window.partitionBy(*first)))
+    left = left.withColumn("__part", F.pmod(F.xxhash64(*first), F.lit(salts)).cast("int"))
+    right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(parts, *keys, "__part")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, *keys, "__part").join(right, [*keys, "__part"]).select(*[body.col(v) for v in head])
+
+    body.df = meet(left.where("__values = 1")).unionByName(meet(left.where("__values > 1")).distinct())
+    body.bound, body.todo_atoms = names, []
+    body.settle()
+    if body.todo:
+        return None
+    return body.df.select(*[F.col(body.col(v)).cast(ctx.sql_type(at.type)).alias(f"c{i}") for i, (v, at) in enumerate(zip(head, ctx.relations[r.head.name].attributes))])

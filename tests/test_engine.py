@@ -74,6 +74,22 @@ def test_an_extreme_under_a_comparison_makes_no_pairs(spark):
     assert [tuple(r) for r in evaluate(spark, text, {"c": table, "s": table}, "r", number_bits=64).collect()] == [(2 * n - 3,)]
 
 
+def test_pairs_over_few_values_are_spread_over_tasks(spark, monkeypatch):
+    from stratalog.plans import rules
+
+    monkeypatch.setattr(rules, "PAIRS", 500, raising=False)
+    rng = random.Random(6)
+    given = [(k, rng.randrange(3)) for k in range(120)] + [(k, rng.randrange(3)) for k in range(0, 120, 5)] * 2  # some keys have two values
+    text = ".decl s(k:number,n:number) input .decl q(a:number,b:number) output q(a,b) :- s(a,n), s(b,n), a != b."
+    out = evaluate(spark, text, {"s": spark.createDataFrame(given, "k long, n long")}, "q", number_bits=64)
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got) == sorted({(a, b) for a, n in given for b, m in given if n == m and a != b})
+    from pyspark.sql import functions as F
+
+    most = max(r[1] for r in out.where("a % 5 <> 0").groupBy(F.spark_partition_id()).count().collect())
+    assert most <= 0.2 * len(got), (most, len(got))
+
+
 def test_arithmetic_wraps_and_truncates(spark):
     text = ".decl a(x:number) a(2147483647). a(-7). .decl r(k:number,x:number) r(1,x+1) :- a(x). r(2,x/2) :- a(x). r(3,x%3) :- a(x). r(4,x*x) :- a(x). r(5,x^2) :- a(x), x < 0. r(6,-x) :- a(x)."
     assert rows(spark, text) == sorted([(1, -2147483648), (1, -6), (2, 1073741823), (2, -3), (3, 1), (3, -1), (4, 1), (4, 49), (5, 49), (6, -2147483647), (6, 7)])
