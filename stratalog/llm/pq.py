@@ -13,7 +13,8 @@ misses about one link in ten million at z = 5. ``z=None`` probes with certainty.
 
 Equal vectors are one node. Lists are cut into blocks of ``BLOCK`` vectors, and blocks of queries meet blocks of the
 index, so a list with a third of all vectors is many tasks; a task returns counts and a spanning forest of the links
-it found, never the links themselves.
+it found, never the links themselves. Lists take turns: a turn ships about ``SHIPPED`` rows for each vector, however
+many lists vectors probe, and its shuffle files go before the next one's.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do
 vectors of a dimension other than the commonest; rows with null vec_id keep a null component_id and link with nothing;
@@ -22,6 +23,8 @@ rows that repeat a vec_id count each; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +35,7 @@ from .common import components, documents, prepare, stored
 from .textkit import mix
 
 SUBSPACES, CODES, SAMPLE, BLOCK, PER_LIST, MOST_LISTS, Z = 8, 64, 20000, 2048, 400, 1024, 5.0
+SHIPPED = 4  # rows shuffled at once, about, for each vector
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -141,35 +145,50 @@ def near_vectors(spark: SparkSession, table: DataFrame, cosine: float = 0.95, z:
     index = Index(np.stack(sample), min(MOST_LISTS, max(1, n // PER_LIST)))
     shared = spark.sparkContext.broadcast(index)  # MOST_LISTS and CODES bound it
 
-    def post(batches):
-        """Index entries (q = false) in the own list, queries (q = true) in every probed list."""
-        ix = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            node, copies = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(-1, dim)
-            own, codes, error = ix.encode(x)
-            probes = ix.probes(x, own, cosine, z)
-            for at in range(0, len(node), 500):
-                s = slice(at, at + 500)
-                width = [len(p) for p in probes[s]]
-                rep = np.repeat(np.arange(at, at + len(width)), width)
-                k = np.append(np.arange(at, at + len(width)), rep)
-                q = np.append(np.zeros(len(width), bool), np.ones(len(rep), bool))
-                where = np.append(own[s], np.concatenate(probes[s]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(where.astype(np.int32)), pa.array(q), pa.array(node[k]), pa.array(copies[k]), pa.array(own[k].astype(np.int32)), pa.array([x[i].tobytes() for i in k], pa.binary()), pa.array([codes[i].tobytes() for i in k], pa.binary()), pa.array(error[k]), pa.array([probes[i].astype(np.int32) for i in k], pa.list_(pa.int32()))],
-                    ["list", "q", "node", "copies", "own", "unit", "codes", "error", "probes"],
-                )
-
-    posts = nodes.select("node", "copies", "unit").mapInArrow(post, "list int, q boolean, node long, copies long, own int, unit binary, codes binary, error double, probes array<int>")
-    sizes = posts.groupBy("list").agg(F.ceil(F.sum((~F.col("q")).cast("int")) / BLOCK).cast("int").alias("ib"), F.ceil(F.sum(F.col("q").cast("int")) / BLOCK).cast("int").alias("qb"))
+    def posts(chosen: np.ndarray | None = None):
+        """Index entries (q = false) in the own list, queries (q = true) in every probed list, in those of the lists
+        that are chosen; without such only where they are."""
+        names = ["list", "q", "node", "copies", "own", "unit", "codes", "error", "probes"]
+
+        def post(batches):
+            ix = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                node, copies = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+                x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(-1, dim)
+                own, codes, error = ix.encode(x)
+                probes = ix.probes(x, own, cosine, z)
+                for at in range(0, len(node), 500):
+                    s = slice(at, at + 500)
+                    width = [len(p) for p in probes[s]]
+                    rep = np.repeat(np.arange(at, at + len(width)), width)
+                    k = np.append(np.arange(at, at + len(width)), rep)
+                    q = np.append(np.zeros(len(width), bool), np.ones(len(rep), bool))
+                    where = np.append(own[s], np.concatenate(probes[s]))
+                    if chosen is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(q)], names[:2])
+                        continue
+                    some = chosen[where]
+                    k, q, where = k[some], q[some], where[some]
+                    mine = list(zip(k.tolist(), q.tolist()))  # what only the index side needs is null for queries
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(where.astype(np.int32)), pa.array(q), pa.array(node[k]), pa.array(copies[k]), pa.array(own[k].astype(np.int32)), pa.array([x[i].tobytes() for i in k], pa.binary()), pa.array([None if ask else codes[i].tobytes() for i, ask in mine], pa.binary()), pa.array(error[k], mask=q), pa.array([None if ask else probes[i].astype(np.int32) for i, ask in mine], pa.list_(pa.int32()))],
+                        names,
+                    )
+
+        fields = "list int, q boolean, node long, copies long, own int, unit binary, codes binary, error double, probes array<int>"
+        return nodes.select("node", "copies", "unit").mapInArrow(post, "list int, q boolean" if chosen is None else fields)
+
+    asks, has = F.sum(F.col("q").cast("int")), F.sum((~F.col("q")).cast("int"))
+    sizes = posts().groupBy("list").agg(F.ceil(has / BLOCK).cast("int").alias("ib"), F.ceil(asks / BLOCK).cast("int").alias("qb"), asks.alias("asks"), has.alias("has"))
     sizes = F.broadcast(stored(spark, sizes, "lists"))  # a row for each of at most MOST_LISTS lists
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("q"), F.col("qb")).otherwise(F.greatest(F.col("ib"), F.lit(1)))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("q"), F.col("ib")).otherwise(F.col("qb")), F.lit(1)) - 1))
-    met = posts.join(sizes, "list").withColumn("mine", mine).withColumn("other", other)
-    met = met.select("list", F.when(F.col("q"), F.col("mine")).otherwise(F.col("other")).alias("qi"), F.when(F.col("q"), F.col("other")).otherwise(F.col("mine")).alias("ii"), "q", "node", "copies", "own", "unit", "codes", "error", "probes")
+    which, rows_of = [], []
+    for r in sizes.orderBy("list").collect():
+        which.append(r["list"])
+        rows_of.append(r["asks"] * max(1, r["ib"]) + r["has"] * max(1, r["qb"]))
+    turn = (np.cumsum(rows_of) - np.array(rows_of)) // (SHIPPED * n)
+    turns = [[r for r, t in zip(which, turn.tolist()) if t == at] for at in np.unique(turn).tolist()]
     limit = np.sqrt(2 - 2 * cosine)
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +237,15 @@ def near_vectors(spark: SparkSession, table: DataFrame, cosine: float = 0.95, z:
         some = (n > 0) | (a != b)
         return pd.DataFrame({"a": a[some], "b": b[some], "n": n[some]})
 
-    links = stored(spark, met.groupBy("list", "qi", "ii").applyInPandas(meet, "a long, b long, n long"), "links")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("q"), F.col("qb")).otherwise(F.greatest(F.col("ib"), F.lit(1)))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("q"), F.col("ib")).otherwise(F.col("qb")), F.lit(1)) - 1))
+    found = []
+    for lists in turns:
+        chosen = np.isin(np.arange(len(index.coarse)), lists)
+        met = posts(chosen).join(sizes, "list").withColumn("mine", mine).withColumn("other", other)
+        met = met.select("list", F.when(F.col("q"), F.col("mine")).otherwise(F.col("other")).alias("qi"), F.when(F.col("q"), F.col("other")).otherwise(F.col("mine")).alias("ii"), "q", "node", "copies", "own", "unit", "codes", "error", "probes")
+        found.append(stored(spark, met.groupBy("list", "qi", "ii").applyInPandas(meet, "a long, b long, n long"), "links"))
+    links = reduce(DataFrame.unionByName, found)
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     parts = components(spark, links)
     whole = nodes.join(parts, "node", "left").join(counts, "node", "left").select("node", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("part"))

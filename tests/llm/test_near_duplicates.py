@@ -108,6 +108,22 @@ def test_embeddings_equal_brute_force(spark):
     assert pq.near_vectors(spark, df.where("false")).count() == 0
 
 
+def test_lists_of_embeddings_take_turns(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(100, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.1])
+    stored, made = pq.stored, []
+    monkeypatch.setattr(pq, "PER_LIST", 10)
+    monkeypatch.setattr(pq, "stored", lambda spark, df, name: made.append(name) or stored(spark, df, name))
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in pq.near_vectors(spark, df, z=None).collect()}
+    close = (u := x / np.linalg.norm(x, axis=1)[:, None]) @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert close.sum() > 100 and [got[i]["n_links"] for i in range(len(x))] == close.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == groups(len(x), lambda i, j: close[i, j])
+    assert 2 <= made.count("links") <= 20, made  # none ships what all lists ask for
+
+
 def test_index_recall_and_lossless_bounds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 64))
